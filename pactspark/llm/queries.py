@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm import language, pairwise_rank, quality_rules, transport_stream, warc
+from pactspark.llm import attention_lm, language, pairwise_rank, quality_rules, transport_stream, warc
 from pactspark.llm.mixing import mix_sources
 from pactspark.llm.near_dedup import near_duplicates
 from pactspark.llm.packing import pack
@@ -52,6 +52,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = attention_lm.score_texts(docs, _remainder(7) != 2, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     forest = quality_rules.fit_rules(docs, _table(spark, sf_dir, "labels"))
@@ -70,7 +76,7 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_dedup, op2_mixing, op3_sharding, op4_warc, op5_language, op6_packing, op8_quality_rules, op9_transport_stream, op10_pairwise_quality)
+    for f in (op1_near_dedup, op2_mixing, op3_sharding, op4_warc, op5_language, op6_packing, op7_attention_lm, op8_quality_rules, op9_transport_stream, op10_pairwise_quality)
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

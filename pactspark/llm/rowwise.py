@@ -20,9 +20,9 @@ def with_text_columns(docs: DataFrame, text_col: str, fields: Sequence[tuple[str
     names = {n for n, _ in fields}
     kept = docs.drop(*names)
     at = kept.columns.index(text_col)
-    schema = T.StructType(kept.schema.fields)
+    schema = T.StructType(list(kept.schema.fields))
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
