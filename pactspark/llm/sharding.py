@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactspark.llm import scratch
 
@@ -71,6 +72,7 @@ def shard_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(most_ranges, max(shards * ranges_per_shard, -(-count // rows_per_range)))
     cell = max(1.0, total / ranges)
+    ranged_schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
 
     def sample(of: DataFrame, step: float, salt: int) -> list:
         """Each record with a chance of size / step, by a hash of its key; a record of more than step always."""
@@ -79,13 +81,13 @@ def shard_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
 
     splits = _quantiles(sample(rows, cell / keys_per_range, 0), cell)
     for again in (1, 2):
-        parts = rows.mapInArrow(_ranged(np.array(splits, np.int64).reshape(-1, 2)), rows.schema.add("part", "int"))
+        parts = rows.mapInArrow(_ranged(np.array(splits, np.int64).reshape(-1, 2)), ranged_schema)
         full = parts.groupBy("part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter((F.col("b") > 2 * cell) & (F.col("n") > 1)).select("part")
         if len(splits) >= 2 * most_ranges or full.isEmpty():
             break
         more = _quantiles(sample(parts.join(F.broadcast(full), "part"), cell / keys_per_range, again), cell / 2)
         splits = sorted({*splits, *more})
-    parts = rows.mapInArrow(_ranged(np.array(splits, np.int64).reshape(-1, 2)), rows.schema.add("part", "int"))
+    parts = rows.mapInArrow(_ranged(np.array(splits, np.int64).reshape(-1, 2)), ranged_schema)
 
     sums = parts.groupBy("part").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
