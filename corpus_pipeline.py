@@ -16,8 +16,6 @@ from pactspark.llm.packing import pack
 from pactspark.llm.queries import PATTERN, TOKENIZERS
 
 
-
-
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -35,9 +33,10 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows that repeat its id once."""
+    """One document of each group of near duplicates, the one with the smallest id; rows that repeat its id once, rows without id all."""
     kept = near_duplicates(docs, k=5, per_cent=80).filter("kept").select("doc_id").dropDuplicates()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return one_each.union(docs.filter("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
