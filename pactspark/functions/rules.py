@@ -44,6 +44,8 @@ class _Parser:
         tok = self.toks[self.at]
         if value is not None and tok[1] != value:
             raise RuleError(f"expected {value!r}, found {tok[1]!r}")
+        if tok[0] == "end":
+            raise RuleError("the rule ends too early")
         self.at += 1
         return tok
 

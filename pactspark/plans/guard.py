@@ -33,10 +33,11 @@ def inspect(spark: SparkSession, sql: str) -> tuple[set[str], set[str], bool]:
         if not found:
             continue
         nodes.append(found["node"])
-        if found["node"] == "UnresolvedWith":
-            defined |= set(re.findall(r"\[([\w, ]+)\]", line)[0].split(", ")) if re.findall(r"\[([\w, ]+)\]", line) else set()
-        if found["node"] == "SubqueryAlias":
-            defined.add(line.split()[-1])
+        if found["node"] == "CTE":
+            defined |= set(re.search(r"CTE \[(.*)\]", line)[1].split(", "))
     if bad := [n for n in nodes if n not in ALLOWED]:
         raise Refused(f"{bad[0]} is not part of a read-only query")
+    # A WITH name holds in its own scope only; elsewhere it must not reach a table of the session.
+    if hides := [n for n in defined if spark.catalog.tableExists(n)]:
+        raise Refused(f"WITH may not define {hides[0]}, which is a table")
     return set(_RELATION.findall(tree)), defined, any(n in AGGREGATES for n in nodes) or bool(re.search(r"'?(?:count|sum|avg|min|max)\(", tree))
