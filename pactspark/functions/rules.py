@@ -235,7 +235,7 @@ class Builder:
             if not rows:
                 return b if a is not None or b is (op == "||") else None
             return as_column(a) & as_column(b) if op == "&&" else as_column(a) | as_column(b)
-        if (a is None or b is None) and op in ("==", "!="):
+        if ("lit", None) in (left, right) and op in ("==", "!="):
             known = b if a is None else a
             if isinstance(known, Column):
                 return known.isNull() if op == "==" else known.isNotNull()
