@@ -20,7 +20,7 @@ execution can split. Nothing about documents reaches the driver.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +30,34 @@ from pyspark.sql import functions as F
 from pactspark.llm import scratch
 from pactspark.llm.words import WordHashes, mix64, shingle_set, split_words
 
-TREES, STEP = 24, 4
+TREES, STEP, WIDE = 24, 4, 1024
 SIZE = TREES * STEP
 DEPTHS = (4, 6, 8, 12, 16, 24, 32, 48, 96)
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[None, :]
 _B = _RNG.integers(0, 2**32, SIZE, dtype=np.uint32)[None, :]
+_WIDE_A = (_RNG.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[None, :]
+_WIDE_B = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)[None, :]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """SIZE minima of 32-bit affine permutations, in blocks so that a long text needs no large matrix."""
-    low = np.full(SIZE, 0xFFFFFFFF, np.uint32)
+def _minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minima of 32-bit affine permutations, in blocks so that a long text needs no large matrix."""
+    low = np.full(a.shape[1], 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 1024):
-        np.minimum(low, (x[at : at + 1024, None] * _A + _B).min(axis=0), out=low)
+        np.minimum(low, (x[at : at + 1024, None] * a + b).min(axis=0), out=low)
     return low
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    return _minima(shingles, _A, _B)
+
+
+def wide_signature(shingles: np.ndarray) -> np.ndarray:
+    """WIDE further minima, of which 8 bits each are kept."""
+    return (_minima(shingles, _WIDE_A, _WIDE_B) & np.uint32(255)).astype(np.uint8)
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -112,7 +123,9 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same.astype(np.int32))], names=["a", "b", "hot", "same"])
 
 
-def _sets(k: int):
+def _sets(k: int, of: Callable[[np.ndarray], np.ndarray], name: str):
+    """(rep, ``of`` its set as bytes) from (rep, text, set_key)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
@@ -121,8 +134,8 @@ def _sets(k: int):
                 s = shingle_set(cache.of(split_words(text.as_py())), k)
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key.as_py():
                     out[0].append(rep.as_py())
-                    out[1].append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["rep", "shingles"])
+                    out[1].append(of(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["rep", name])
 
     return run
 
@@ -145,8 +158,8 @@ def _linked(per_cent: int):
     return run
 
 
-def _across(least: int):
-    """In runs of one region (at most the region bound), the pairs of different components whose signatures agree."""
+def _across(least: int, least_wide: int):
+    """In runs of one region (at most the region bound), the pairs of different components whose signatures agree, the wide ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -154,10 +167,12 @@ def _across(least: int):
         def pairs(rows: list[tuple]) -> tuple[list, list]:
             a, b = [], []
             sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, SIZE)
+            wide = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, WIDE)
             comp = np.array([r[2] for r in rows], np.int64)
             reps = np.array([r[1] for r in rows], np.int64)
             for i in range(1, len(rows)):
                 hit = np.flatnonzero((comp[:i] != comp[i]) & ((sig[:i] == sig[i]).sum(axis=1) >= least))
+                hit = hit[(wide[hit] == wide[i]).sum(axis=1) >= least_wide]
                 a.extend(np.minimum(reps[hit], reps[i]).tolist())
                 b.extend(np.maximum(reps[hit], reps[i]).tolist())
             return a, b
@@ -177,23 +192,26 @@ def _across(least: int):
     return run
 
 
-def _against_block(least: int):
+def _against_block(least: int, least_wide: int):
     """Runs of (a, block): the held star members first, then the waiting sets, each compared with all held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, reps, held, matrix = None, [], [], None
+        at, reps, held, wides, matrix, wide_matrix = None, [], [], [], None, None
         for batch in batches:
             a, b = [], []
-            for pivot, block, waits, rep, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for pivot, block, waits, rep, sig, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != (pivot, block):
-                    at, reps, held, matrix = (pivot, block), [], [], None
-                own = np.frombuffer(sig, np.uint32)
+                    at, reps, held, wides, matrix = (pivot, block), [], [], [], None
+                own, own_wide = np.frombuffer(sig, np.uint32), np.frombuffer(wide, np.uint8)
                 if not waits:
                     reps.append(rep)
                     held.append(own)
+                    wides.append(own_wide)
                 elif held:
-                    matrix = np.array(held) if matrix is None else matrix
-                    for i in np.flatnonzero((matrix == own).sum(axis=1) >= least):
+                    if matrix is None:
+                        matrix, wide_matrix = np.array(held), np.array(wides)
+                    hit = np.flatnonzero((matrix == own).sum(axis=1) >= least)
+                    for i in hit[(wide_matrix[hit] == own_wide).sum(axis=1) >= least_wide]:
                         a.append(min(rep, reps[i]))
                         b.append(max(rep, reps[i]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
@@ -238,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and is kept. Extra columns are ignored. An empty table gives none.
     """
     least = int(SIZE * (per_cent / 100 - 0.18))  # over four standard deviations below the threshold
+    least_wide = int(WIDE * (per_cent / 100 - 0.05))  # four standard deviations below
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.save(base.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketch")
     classes = scratch.save(sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
@@ -258,12 +277,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for more in levels[1:]:
         members = members.union(more)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by signature first, then on the full sets."""
-        own = classes.select("rep", "set_key")
-        needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(own, "rep")
+    def from_sets(reps: DataFrame, of: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+        needed = reps.distinct().join(classes.select("rep", "set_key"), "rep")
         texts = base.withColumnRenamed("doc_id", "rep").join(needed, "rep").select("rep", "text", "set_key")
-        sets = scratch.save(texts.mapInArrow(_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+        return scratch.save(texts.mapInArrow(_sets(k, of, name), f"rep long, {name} binary").dropDuplicates(["rep"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link on the full sets."""
+        sets = from_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))), lambda s: s, "shingles")
         with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("p")), "a")
         with_both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
         return scratch.save(with_both.mapInArrow(_linked(per_cent), "a long, b long"), "links")
@@ -280,8 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     closed = members.filter(F.col("n") <= region).select("key", "rep")
     labelled = closed.join(label("rep"), "rep", "left").select("key", "rep", F.coalesce("rep_of", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    runs = labelled.join(mixed, "key", "left_semi").join(sigs, "rep").select("key", "rep", "component", "sig")
-    across = runs.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_across(least), "a long, b long")
+    runs = scratch.save(labelled.join(mixed, "key", "left_semi"), "runs")
 
     # In hot regions: a set linked with a pivot's partner is at least 2 * per_cent - 100 % similar to the pivot.
     # All such sets outside the pivot's component meet all partners, in blocks.
@@ -290,8 +310,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = near.groupBy("a").agg(F.ceil(F.count_if(~F.col("waits")) / 1024).cast("int").alias("blocks"), F.count_if("waits").alias("waiting")).filter("waiting > 0 and blocks > 0")
     every = F.when(F.col("waits"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")))
     dealt = near.select("a", "b", "waits").join(blocks, "a").select("a", F.explode(every).alias("block"), "waits", F.col("b").alias("rep"))
-    rest = dealt.join(sigs, "rep").select("a", "block", "waits", "rep", "sig").repartition("a", "block").sortWithinPartitions("a", "block", "waits", "rep")
-    rest = rest.mapInArrow(_against_block(least), "a long, b long")
+    dealt = scratch.save(dealt, "dealt")
+
+    # Members of one region are alike without linking: the wide signature keeps most such pairs from the full check.
+    wide = from_sets(runs.select("rep").union(dealt.select("rep")), wide_signature, "wide")
+    signed = sigs.join(wide, "rep")
+    across = runs.join(signed, "rep").select("key", "rep", "component", "sig", "wide").repartition("key").sortWithinPartitions("key", "rep")
+    across = across.mapInArrow(_across(least, least_wide), "a long, b long")
+    rest = dealt.join(signed, "rep").select("a", "block", "waits", "rep", "sig", "wide").repartition("a", "block").sortWithinPartitions("a", "block", "waits", "rep")
+    rest = rest.mapInArrow(_against_block(least, least_wide), "a long, b long")
 
     more = scratch.save(across.union(rest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
