@@ -58,7 +58,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Learned stages and a tokenizer decide the rows, which SQL can't express; the tests hold each stage against a plain version.
+#: Learned stages and a tokenizer decide the rows, which SQL can't express.
 ORACLE_SQL = None
 
 
