@@ -4,15 +4,17 @@ Every distinct shingle set gets a signature of ``TREES * STEP`` minima. Tree t
 orders the sets by the signature read from position ``STEP * t`` on. Sets that
 share a prefix of that order form a region; its depth adapts: a region of more
 than ``region`` sets is cut by a longer prefix, until it is small. Candidates
-are each set with its region's first member (at every depth), then, in closed
-regions that still hold several components, the members of different
-components; and in hot regions, sets near a first member but not linked with it
-against all that are, in blocks. Every candidate is confirmed on the full sets
-before it links.
+are each set with its region's first member (at every depth), then, in regions
+of the least depth that still hold several components, all pairs of members of
+different components whose signatures agree: small regions at once, hot ones in
+blocks of at most about ``block`` sets, of like sizes only. Every candidate is
+confirmed on the full sets before it links.
 
 Scale: equal sets are collapsed by an aggregate before anything else; only keys
 shared by two sets or more travel on; a hot region is never gathered, it is
-aggregated to (size, first member) and cut deeper; components come from
+aggregated to (size, first member), cut deeper and compared in blocks dealt over
+the tasks, whose comparisons grow with the square of the sets that its first
+member doesn't account for; components come from
 large-star/small-star rounds whose hot vertices meet only joins that adaptive
 execution can split. Nothing about documents reaches the driver.
 """
@@ -119,8 +121,8 @@ def _with_regions(rows: DataFrame) -> DataFrame:
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            same = (_signatures(batch.column(3)) == _signatures(batch.column(4))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same.astype(np.int32))], names=["a", "b", "hot", "same"])
+            same = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same.astype(np.int32))], names=["a", "b", "same"])
 
 
 def _sets(k: int, of: Callable[[np.ndarray], np.ndarray], name: str):
@@ -192,29 +194,49 @@ def _across(least: int, least_wide: int):
     return run
 
 
-def _against_block(least: int, least_wide: int):
-    """Runs of (a, block): the held star members first, then the waiting sets, each compared with all held."""
+def _between(least: int, least_wide: int, per_cent: int):
+    """Runs of (key, kind, lo, hi), each of two blocks of a hot region (one where lo = hi and kind = 0): the pairs of different components whose signatures agree, the wide ones too."""
+
+    def pairs(rows: list[tuple], alone: bool) -> tuple[list, list]:
+        a, b = [], []
+        rows = sorted(rows, key=lambda r: r[6])  # by set size: sets that link lie within a range of it
+        side, reps, comp, sizes = (np.array([r[j] for r in rows], np.int64) for j in (4, 5, 7, 6))
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(-1, SIZE)
+        wide = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(-1, WIDE)
+        low = sig.astype(np.uint8)  # a first look at 8 bits a minimum: never fewer agree than of the whole
+        other = np.arange(len(rows)) if alone else np.flatnonzero(side == 1)
+        low_o, sizes_o = low[other], sizes[other]
+        upto = np.searchsorted(sizes_o, 100 * sizes // per_cent, "right")
+        down = np.searchsorted(sizes_o, -(-per_cent * sizes // 100), "left")
+        for i in range(len(rows)) if alone else np.flatnonzero(side == 0):
+            start, end = max(int(down[i]), i + 1) if alone else int(down[i]), int(upto[i])
+            if start >= end:
+                continue
+            lanes = (low_o[start:end] == low[i]).view(np.uint64)
+            same = (lanes.sum(axis=1, dtype=np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+            hit = other[start + np.flatnonzero(same >= least)]
+            hit = hit[comp[hit] != comp[i]]
+            hit = hit[(sig[hit] == sig[i]).sum(axis=1) >= least]
+            hit = hit[(wide[hit] == wide[i]).sum(axis=1) >= least_wide]
+            a.extend(np.minimum(reps[hit], reps[i]).tolist())
+            b.extend(np.maximum(reps[hit], reps[i]).tolist())
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, reps, held, wides, matrix, wide_matrix = None, [], [], [], None, None
+        held: list[tuple] = []
+
+        def found() -> pa.RecordBatch:
+            kind, lo, hi = held[0][1:4]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(held, kind == 0 and lo == hi)], names=["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            for pivot, block, waits, rep, sig, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (pivot, block):
-                    at, reps, held, wides, matrix = (pivot, block), [], [], [], None
-                own, own_wide = np.frombuffer(sig, np.uint32), np.frombuffer(wide, np.uint8)
-                if not waits:
-                    reps.append(rep)
-                    held.append(own)
-                    wides.append(own_wide)
-                elif held:
-                    if matrix is None:
-                        matrix, wide_matrix = np.array(held), np.array(wides)
-                    hit = np.flatnonzero((matrix == own).sum(axis=1) >= least)
-                    for i in hit[(wide_matrix[hit] == own_wide).sum(axis=1) >= least_wide]:
-                        a.append(min(rep, reps[i]))
-                        b.append(max(rep, reps[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:4] != row[:4]:
+                    yield found()
+                    held = []
+                held.append(row)
+        if held:
+            yield found()
 
     return run
 
@@ -247,7 +269,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, region: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, region: int = 64, block: int = 4096) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
     Links texts with 100 * intersection >= per_cent * union of their distinct
@@ -259,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least_wide = int(WIDE * (per_cent / 100 - 0.05))  # four standard deviations below
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.save(base.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketch")
-    classes = scratch.save(sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = scratch.save(sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     sigs = classes.select("rep", "sig").dropDuplicates(["rep"])
 
     rows = classes.select("rep", "sig").mapInArrow(_first_rows, "rep long, tree int, key long")
@@ -289,27 +311,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
         return scratch.save(with_both.mapInArrow(_linked(per_cent), "a long, b long"), "links")
 
-    stars = members.filter("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg((F.max("n") > region).alias("hot"))
+    stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     left = stars.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("p")), "a")
-    both = left.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("q")), "b").select("a", "b", "hot", "p", "q")
-    star_pairs = scratch.save(both.mapInArrow(_agreement, "a long, b long, hot boolean, same int"), "pairs")
+    both = left.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("q")), "b").select("a", "b", "p", "q")
+    star_pairs = scratch.save(both.mapInArrow(_agreement, "a long, b long, same int"), "pairs")
     tried = star_pairs.filter(F.col("same") >= least).select("a", "b")
     links = confirmed(tried)
     found = components(links)
     label = lambda c: found.select(F.col("v").alias(c), F.col("component").alias(f"{c}_of"))
 
-    closed = members.filter(F.col("n") <= region).select("key", "rep")
-    labelled = closed.join(label("rep"), "rep", "left").select("key", "rep", F.coalesce("rep_of", "rep").alias("component"))
+    # Level 0 alone bounds recall: at 80 % about 3 linked pairs in a million share no region of it. So every pair of different
+    # components in one of its regions is compared, in closed regions at once, in hot ones by blocks.
+    labelled = levels[0].join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left").select("key", "rep", "n", F.coalesce("rep_of", "rep").alias("component"), F.coalesce("pivot_of", "pivot").alias("main"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    runs = scratch.save(labelled.join(mixed, "key", "left_semi"), "runs")
-
-    # In hot regions: a set linked with a pivot's partner is at least 2 * per_cent - 100 % similar to the pivot.
-    # All such sets outside the pivot's component meet all partners, in blocks.
-    near = star_pairs.filter(F.col("hot") & (F.col("same") >= int(SIZE * (2 * per_cent / 100 - 1.18))))
-    near = near.join(label("a"), "a", "left").join(label("b"), "b", "left").withColumn("waits", F.coalesce("a_of", "a") != F.coalesce("b_of", "b"))
-    blocks = near.groupBy("a").agg(F.ceil(F.count_if(~F.col("waits")) / 1024).cast("int").alias("blocks"), F.count_if("waits").alias("waiting")).filter("waiting > 0 and blocks > 0")
-    every = F.when(F.col("waits"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")))
-    dealt = near.select("a", "b", "waits").join(blocks, "a").select("a", F.explode(every).alias("block"), "waits", F.col("b").alias("rep"))
+    labelled = scratch.save(labelled.join(mixed, "key", "left_semi"), "labelled")
+    runs = labelled.filter(F.col("n") <= region).select("key", "rep", "component")
+
+    # The sets linked with a hot region's first member meet all others there, and the others each other.
+    hot = labelled.filter(F.col("n") > region).withColumn("waits", F.col("component") != F.col("main"))
+    blocks = hot.groupBy("key").agg(F.ceil(F.count_if("waits") / block).cast("int").alias("waiting"), F.ceil(F.count_if(~F.col("waits")) / block).cast("int").alias("linked"))
+    dealt = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("waits"), F.col("waiting")).otherwise(F.col("linked"))).cast("int"))
+    unit = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("own")
+    among = F.transform(upto("waiting"), lambda j: unit(0, F.least(own, j), F.greatest(own, j), (own > j).cast("int")))
+    asked = F.transform(upto("linked"), lambda j: unit(1, own, j, F.lit(0)))
+    given = F.transform(upto("waiting"), lambda j: unit(1, j, own, F.lit(1)))
+    dealt = dealt.select("key", "rep", "component", F.explode(F.when(~F.col("waits"), given).otherwise(F.concat(among, asked))).alias("unit")).select("key", "unit.*", "rep", "component")
     dealt = scratch.save(dealt, "dealt")
 
     # Members of one region are alike without linking: the wide signature keeps most such pairs from the full check.
@@ -317,8 +345,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = sigs.join(wide, "rep")
     across = runs.join(signed, "rep").select("key", "rep", "component", "sig", "wide").repartition("key").sortWithinPartitions("key", "rep")
     across = across.mapInArrow(_across(least, least_wide), "a long, b long")
-    rest = dealt.join(signed, "rep").select("a", "block", "waits", "rep", "sig", "wide").repartition("a", "block").sortWithinPartitions("a", "block", "waits", "rep")
-    rest = rest.mapInArrow(_against_block(least, least_wide), "a long, b long")
+    sized = signed.join(classes.select("rep", "n_shingles").dropDuplicates(["rep"]), "rep")
+    run_of = ["key", "kind", "lo", "hi"]
+    rest = dealt.join(sized, "rep").select(*run_of, "side", "rep", "n_shingles", "component", "sig", "wide").repartition(*run_of).sortWithinPartitions(*run_of, "side", "rep")
+    rest = rest.mapInArrow(_between(least, least_wide, per_cent), "a long, b long")
 
     more = scratch.save(across.union(rest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():

@@ -46,6 +46,42 @@ def test_near_duplicates_match_brute_force(spark, rows):
     assert got[None]["component_id"] is None and got[None]["kept"]
 
 
+def roots_of(known, per_cent=80):
+    """Smallest id of each component, by brute force."""
+    root = {i: i for i, _ in known}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (i, a) in enumerate(known):
+        for j, b in known[:n]:
+            if 100 * min(len(a), len(b)) >= per_cent * max(len(a), len(b)) and 100 * len(a & b) >= per_cent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_twins_in_a_templated_family_match_brute_force(spark, block):
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(170)]
+    family = []
+    for i in range(300):  # of one template, alike to about 73 %; each with a twin alike to about 83 %
+        one = [*template, *(f"u{i}_{j}" for j in range(30))]
+        family += [(2 * i, " ".join(one)), (2 * i + 1, " ".join([*one[:-18], *(f"v{i}_{j}" for j in range(18))]))]
+    rng.shuffle(family)
+    chain = [f"c{i}" for i in range(200)]
+    for i in range(12):  # each alike to the next only
+        family.append((1000 + i, " ".join([*template, *chain[i * 14 : i * 14 + 28]])))
+    root = roots_of([(i, shingles(text)) for i, text in family])
+    assert 250 < len(set(root.values())) < 350
+    frame = spark.createDataFrame(family, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame, k=4, per_cent=80, block=block).collect()}
+    assert got == root
+
+
 def test_shards_have_gapless_slots_and_near_equal_bytes(spark, rows):
     got = shard_bytes(spark.createDataFrame(rows, SCHEMA), shards=4).collect()
     assert len(got) == len(rows)
