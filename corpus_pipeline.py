@@ -27,8 +27,13 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranker does not reject: those scored at or above its threshold."""
-    ranker = pairwise_rank.fit_quality(docs, _labels(spark, sf_dir))
+    """Documents that the ranker does not reject: those scored at or above its threshold.
+
+    It learns from the whole table of documents: the rules leave hardly any bad ones to pair.
+    """
+    ranker = pairwise_rank.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), _labels(spark, sf_dir))
+    if not ranker.weights.any():
+        raise ValueError("no preference pairs: the labels need documents of both kinds")
     return pairwise_rank.apply_quality(docs, ranker).filter("predicted = 1").select(docs.columns)
 
 
