@@ -38,10 +38,18 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows that repeat its id once, rows without id all."""
-    kept = near_duplicates(docs, k=5, per_cent=80).filter("kept").select("doc_id").dropDuplicates()
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one_each.union(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates, that with the smallest id (null ids last).
+
+    Rows are judged by a key of their own, so ids may repeat or be null. Rows
+    without words stay, one for each id and every one without id.
+    """
+    keyed = scratch.save(docs.withColumn("_near_row", F.monotonically_increasing_id()), "keyed")
+    near = near_duplicates(keyed, id_col="_near_row", k=5, per_cent=80).withColumnRenamed("doc_id", "_near_row")
+    worded = F.col("n_shingles") > 0
+    alike = [F.when(worded, F.col("component_id")), F.when(~worded, F.col("doc_id")), F.when(~worded & F.col("doc_id").isNull(), F.col("_near_row"))]
+    groups = keyed.select("_near_row", "doc_id").join(near, "_near_row").groupBy(*alike)
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_near_row"))).alias("first")).select("first._near_row")
+    return keyed.join(first, "_near_row", "left_semi").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,10 @@ def test_no_pairs_is_an_error(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").write.parquet(f"{one}/labels.parquet")
     with pytest.raises(ValueError, match="no preference pairs"):
         corpus_pipeline.quality_classifier_stage(spark, spark.read.parquet(f"{one}/documents.parquet"), str(one))
+
+
+def test_near_dedup_judges_rows_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, ""), (3, ""), (None, "")]
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (None, c), (3, ""), (None, "")], key=str)
