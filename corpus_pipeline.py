@@ -13,7 +13,7 @@ from pactspark.llm import pairwise_rank, quality_rules, scratch
 from pactspark.llm.mixing import mix_sources
 from pactspark.llm.near_dedup import near_duplicates
 from pactspark.llm.packing import pack
-from pactspark.llm.queries import PATTERN, TOKENIZERS
+from pactspark.llm.queries import VOCABULARY
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row per piece."""
-    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    return pack(docs, *VOCABULARY)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,8 @@ from pactspark.llm.near_dedup import near_duplicates
 from pactspark.llm.packing import pack
 from pactspark.llm.sharding import shard_bytes
 
-#: Where the public vocabulary files are; the folder is installed on every node.
-TOKENIZERS = "/opt/tokenizers"
-#: Fixed value: how the vocabulary's own format cuts text before merging.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The vocabulary in both formats and its pattern; the files are installed on every node.
+VOCABULARY = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +48,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    return pack(_table(spark, sf_dir, "documents"), *VOCABULARY)
 
 
 def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = attention_lm.score_texts(docs, _remainder(7) != 2, f"{TOKENIZERS}/byte_bpe_50k.json")
+    scored = attention_lm.score_texts(docs, _remainder(7) != 2, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return scored.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
