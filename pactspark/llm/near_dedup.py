@@ -2,18 +2,19 @@
 
 Every distinct shingle set gets a signature of ``TREES * STEP`` minima. Tree t
 orders the sets by the signature read from position ``STEP * t`` on. Sets that
-share a prefix of that order form a region; its depth adapts: a region of more
-than ``region`` sets is cut by a longer prefix, until it is small. Candidates
-are each set with its region's first member (at every depth), then, in regions
-of the least depth that still hold several components, all pairs of members of
-different components whose signatures agree: small regions at once, hot ones in
+share the first STEP values of that order form a region. The rows of all regions
+are sorted in their order, over the whole cluster, and each set's neighbours
+there, those it shares the longest prefixes with, are candidates if their
+signatures agree; so the depth adapts to how crowded a region is. Regions that
+then still hold several components are compared in full: all pairs of members of
+different components whose signatures agree, small regions at once, hot ones in
 blocks of at most about ``block`` sets, of like sizes only. Every candidate is
 confirmed on the full sets before it links.
 
 Scale: equal sets are collapsed by an aggregate before anything else; only keys
-shared by two sets or more travel on; a hot region is never gathered, it is
-aggregated to (size, first member), cut deeper and compared in blocks dealt over
-the tasks, whose comparisons grow with the square of the sets that its first
+shared by two sets or more travel on; a hot region is never gathered: it is
+aggregated to (size, first member), range-partitioned by its order, and what is
+not linked then is compared in blocks dealt over the tasks, whose comparisons grow with the square of the sets that its first
 member doesn't account for; components come from
 large-star/small-star rounds whose hot vertices meet only joins that adaptive
 execution can split. Nothing about documents reaches the driver.
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,6 @@ from pactspark.llm.words import WordHashes, mix64, shingle_set, split_words
 
 TREES, STEP, WIDE = 24, 4, 1024
 SIZE = TREES * STEP
-DEPTHS = (4, 6, 8, 12, 16, 24, 32, 48, 96)
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[None, :]
 _B = _RNG.integers(0, 2**32, SIZE, dtype=np.uint32)[None, :]
@@ -81,7 +82,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 def _keys(sig: np.ndarray, tree: int, depth: int) -> np.ndarray:
     """One 64-bit key of the tree and the first ``depth`` values in its order."""
-    at = [(tree * STEP + j) % SIZE for j in range(depth)]
+    at = range(tree * STEP, tree * STEP + depth)
     key = np.full(len(sig), tree * 131 + depth, np.uint64)
     for j in at:
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
@@ -92,24 +93,20 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sig, reps = _signatures(batch.column(1)), batch.column(0)
         for tree in range(TREES) if len(sig) else ():
-            yield pa.RecordBatch.from_arrays([reps, pa.array(np.full(len(sig), tree, np.int32)), pa.array(_keys(sig, tree, DEPTHS[0]))], names=["rep", "tree", "key"])
+            yield pa.RecordBatch.from_arrays([reps, pa.array(np.full(len(sig), tree, np.int32)), pa.array(_keys(sig, tree, STEP))], names=["rep", "tree", "key"])
 
 
-def _deeper_rows(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, reps, trees = _signatures(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            at = [[] for _ in range(TREES)]
-            for i, own in enumerate(trees):
-                for t in own:
-                    at[t].append(i)
-            for tree, rows in enumerate(at):
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[rows]), pa.array(np.full(len(rows), tree, np.int32)), pa.array(_keys(sig[rows], tree, depth))], names=["rep", "tree", "key"])
-
-    return run
+def _ordered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, order, rep): per tree, the signature's low bytes read from the tree's position on."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low, reps = _signatures(batch.column(1)).astype(np.uint8), batch.column(0).to_numpy()
+        flat, lens = pc.list_flatten(batch.column(2)), pc.list_value_length(batch.column(2)).to_numpy()
+        rows = np.repeat(np.arange(len(reps)), lens)
+        trees, keys = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        order = low[rows[:, None], (trees[:, None] * STEP + np.arange(SIZE)[None, :]) % SIZE]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIZE), len(rows), [None, pa.py_buffer(order.tobytes())]).cast(pa.binary()), pa.array(reps[rows])], names=["key", "order", "rep"])
 
 
 def _with_regions(rows: DataFrame) -> DataFrame:
@@ -118,11 +115,29 @@ def _with_regions(rows: DataFrame) -> DataFrame:
     return rows.join(regions, "key")
 
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            same = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same.astype(np.int32))], names=["a", "b", "same"])
+def _neighbours(least: int, reach: int):
+    """In sorted (key, order, rep) rows: the pairs of a region of which one is among the ``reach`` before the other, and whose signatures agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SIZE), batch.column(2).to_numpy())
+            key, order, rep = (np.concatenate(x) for x in zip(before, now, strict=True)) if before else now
+            new = len(rep) - batch.num_rows
+            a, b = [], []
+            for back in range(1, min(reach, len(rep) - 1) + 1):
+                i = np.arange(max(new, back), len(rep))
+                i = i[key[i] == key[i - back]]
+                i = i[(order[i] == order[i - back]).sum(axis=1) >= least]
+                a.append(np.minimum(rep[i], rep[i - back]))
+                b.append(np.maximum(rep[i], rep[i - back]))
+            before = (key[-reach:], order[-reach:], rep[-reach:])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    return run
 
 
 def _sets(k: int, of: Callable[[np.ndarray], np.ndarray], name: str):
@@ -269,39 +284,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, region: int = 64, block: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, per_cent: int = 80, region: int = 64, block: int = 4096, reach: int = 3) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
     Links texts with 100 * intersection >= per_cent * union of their distinct
     k-word shingles (A-Z lower-cased). Null and empty texts have no shingles and
-    link with nothing. Repeated rows get equal values; a null id gets a null
-    component and is kept. Extra columns are ignored. An empty table gives none.
+    link with nothing. Repeated rows get equal values; where an id has several
+    texts, each is judged by itself. A null id gets a null component and is kept.
+    Other columns, whatever their names, are not read. An empty table gives none.
+    A very long text's shingles are held by one task, its signature in blocks.
     """
     least = int(SIZE * (per_cent / 100 - 0.18))  # over four standard deviations below the threshold
     least_wide = int(WIDE * (per_cent / 100 - 0.05))  # four standard deviations below
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.save(base.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_key binary, sig binary"), "sketch")
-    classes = scratch.save(sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
-    sigs = classes.select("rep", "sig").dropDuplicates(["rep"])
-
-    rows = classes.select("rep", "sig").mapInArrow(_first_rows, "rep long, tree int, key long")
-    levels = []
-    for depth in DEPTHS[1:]:
-        levels.append(scratch.save(_with_regions(rows), "members"))
-        hot = levels[-1].filter(F.col("n") > region)
-        if hot.isEmpty():
-            break
-        trees = hot.groupBy("rep").agg(F.collect_set("tree").alias("trees"))
-        rows = trees.join(sigs, "rep").select("rep", "sig", "trees").mapInArrow(_deeper_rows(depth), "rep long, tree int, key long")
-    else:
-        levels.append(scratch.save(_with_regions(rows), "members"))
-    members = levels[0]
-    for more in levels[1:]:
-        members = members.union(more)
+    one = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = scratch.save(one.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once, as written
+    sigs = classes.select("rep", "sig")
+
+    members = scratch.save(_with_regions(classes.select("rep", "sig").mapInArrow(_first_rows, "rep long, tree int, key long")), "members")
 
     def from_sets(reps: DataFrame, of: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
-        needed = reps.distinct().join(classes.select("rep", "set_key"), "rep")
-        texts = base.withColumnRenamed("doc_id", "rep").join(needed, "rep").select("rep", "text", "set_key")
+        needed = reps.distinct().join(classes.select("rep", F.col("id").alias("doc_id"), "set_key"), "rep")
+        texts = base.join(needed, "doc_id").select("rep", "text", "set_key")  # an id may hold other texts too: the key tells
         return scratch.save(texts.mapInArrow(_sets(k, of, name), f"rep long, {name} binary").dropDuplicates(["rep"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -311,18 +316,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
         return scratch.save(with_both.mapInArrow(_linked(per_cent), "a long, b long"), "links")
 
-    stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    left = stars.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("p")), "a")
-    both = left.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("q")), "b").select("a", "b", "p", "q")
-    star_pairs = scratch.save(both.mapInArrow(_agreement, "a long, b long, same int"), "pairs")
-    tried = star_pairs.filter(F.col("same") >= least).select("a", "b")
+    # Sorted orders: what shares the longest prefix stands side by side, however crowded the region is.
+    places = members.groupBy("rep").agg(F.collect_list(F.struct("tree", "key")).alias("places"))  # at most one a tree
+    ordered = scratch.save(places.join(sigs, "rep").select("rep", "sig", "places").mapInArrow(_ordered_rows, "key long, order binary, rep long"), "ordered")
+    ordered = ordered.repartitionByRange("key", "order", "rep").sortWithinPartitions("key", "order", "rep")
+    tried = scratch.save(ordered.mapInArrow(_neighbours(least, reach), "a long, b long").distinct(), "pairs")
     links = confirmed(tried)
     found = components(links)
     label = lambda c: found.select(F.col("v").alias(c), F.col("component").alias(f"{c}_of"))
 
-    # Level 0 alone bounds recall: at 80 % about 3 linked pairs in a million share no region of it. So every pair of different
-    # components in one of its regions is compared, in closed regions at once, in hot ones by blocks.
-    labelled = levels[0].join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left").select("key", "rep", "n", F.coalesce("rep_of", "rep").alias("component"), F.coalesce("pivot_of", "pivot").alias("main"))
+    # Regions bound recall: at 80 % about 3 linked pairs in a million share none. So every pair of different components
+    # in one region is compared, in small regions at once, in hot ones by blocks.
+    labelled = members.join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left").select("key", "rep", "n", F.coalesce("rep_of", "rep").alias("component"), F.coalesce("pivot_of", "pivot").alias("main"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     labelled = scratch.save(labelled.join(mixed, "key", "left_semi"), "labelled")
     runs = labelled.filter(F.col("n") <= region).select("key", "rep", "component")
@@ -345,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = sigs.join(wide, "rep")
     across = runs.join(signed, "rep").select("key", "rep", "component", "sig", "wide").repartition("key").sortWithinPartitions("key", "rep")
     across = across.mapInArrow(_across(least, least_wide), "a long, b long")
-    sized = signed.join(classes.select("rep", "n_shingles").dropDuplicates(["rep"]), "rep")
+    sized = signed.join(classes.select("rep", "n_shingles"), "rep")
     run_of = ["key", "kind", "lo", "hi"]
     rest = dealt.join(sized, "rep").select(*run_of, "side", "rep", "n_shingles", "component", "sig", "wide").repartition(*run_of).sortWithinPartitions(*run_of, "side", "rep")
     rest = rest.mapInArrow(_between(least, least_wide, per_cent), "a long, b long")
@@ -355,6 +360,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(confirmed(more))
         found = components(links)
 
-    answer = classes.select("set_key", "rep").join(found.withColumnRenamed("v", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
-    joined = sketch.select("doc_id", "n_shingles", "set_key").join(answer, "set_key", "left")
+    # Numbers give way to ids: a component is called by its smallest one.
+    linked = scratch.save(classes.select("set_key", "rep", "id").join(found.withColumnRenamed("v", "rep"), "rep").select("set_key", "component", "id"), "linked")
+    named = linked.select("set_key", "component").join(linked.groupBy("component").agg(F.min("id").alias("found")), "component")
+    alone = classes.join(linked, "set_key", "left_anti").select("set_key", F.col("id").alias("found"))
+    joined = sketch.select("doc_id", "n_shingles", "set_key").join(named.select("set_key", "found").union(alone), "set_key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
