@@ -23,7 +23,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     forest = quality_rules.fit_rules(docs, _labels(spark, sf_dir))
-    return quality_rules.apply_rules(docs, forest).filter("kept").select(docs.columns)
+    return quality_rules.apply_rules(docs, forest, prefix="_rules_").filter("_rules_kept").select(docs.columns)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     ranker = pairwise_rank.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), _labels(spark, sf_dir))
     if not ranker.weights.any():
         raise ValueError("no preference pairs: the labels need documents of both kinds")
-    return pairwise_rank.apply_quality(docs, ranker).filter("predicted = 1").select(docs.columns)
+    return pairwise_rank.apply_quality(docs, ranker, prefix="_rank_").filter("_rank_predicted = 1").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it does not take are gone."""
-    mixed = mix_sources(docs).filter("times > 0")
-    return mixed.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(docs.columns)
+    mixed = mix_sources(docs, prefix="_mixed_").filter("_mixed_times > 0")
+    return mixed.withColumn("_mixed_times", F.explode(F.sequence(F.lit(1), F.col("_mixed_times").cast("int")))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

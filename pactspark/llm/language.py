@@ -11,7 +11,6 @@ documents of each language); every document is predicted from its whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,12 +37,11 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 SIZE = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def profile(text: str) -> np.ndarray:
@@ -167,6 +165,7 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
     """``docs`` with lang_pred and score from the whole text alone.
 
     ``und`` with score 0 if the text is null or has no letter (or nothing was
-    learned). Repeated rows get equal values; an empty table stays empty.
+    learned). Repeated rows get equal values; an empty table stays empty. Columns
+    of these names give way. A very long text is profiled by one task, as one array.
     """
     return with_text_columns(docs, text_col, [("lang_pred", "string"), ("score", "double")], lambda: lambda texts: list(identifier.predict(texts)))

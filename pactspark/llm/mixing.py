@@ -27,7 +27,7 @@ from pactspark.llm.words import word_count
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5(F.col(text_col)), F.lit(""))))))
     return docs.withColumns({"_mix_source": F.col(source_col), "_mix_size": word_count(F.col(text_col)), "_mix_hash": h, "_mix_id": F.col(id_col).cast("long")}).withColumn("_mix_bucket", F.conv(F.substring("_mix_hash", 1, 4), 16, 10).cast("int"))
 
 
@@ -46,13 +46,15 @@ def water_fill(sources: DataFrame, weights: Sequence[float], share: float, epoch
     return w.select("_mix_source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2, seed: str = "mix-1") -> DataFrame:
-    """``docs`` with (size, source_size, target, times, taken) in place of columns of those names.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2, seed: str = "mix-1", prefix: str = "") -> DataFrame:
+    """``docs`` with (size, source_size, target, times, taken), each after ``prefix``, in place of columns of those names.
 
     size counts the words (null text: 0); times is how often the mix takes the
     document, taken is size * times and at most epochs * size. Null is a source
     of its own. Documents without words follow the whole repetitions only.
-    Rows that repeat an id are decided alike. An empty table gives none.
+    Rows that repeat an id are decided alike; those without id are told apart by
+    their texts. An empty table gives none. Only names that begin with
+    ``_mix_`` are taken.
     """
     keyed = _keyed(docs, id_col, text_col, source_col, seed)
     sized = scratch.save(keyed.select("_mix_source", "_mix_id", "_mix_size", "_mix_hash", "_mix_bucket"), "sizes")
@@ -76,17 +78,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = sources.join(cuts, same(sources, cuts), "left").drop(cuts["_mix_source"])
     plan = scratch.save(plan.withColumn("gap", F.when(F.col("edge").isNotNull(), F.col("rest") - F.col("had"))), "plan")
 
-    once = (F.col("_mix_bucket") < F.coalesce("edge", F.lit(65536))) | ((F.col("_mix_bucket") == F.col("edge")) & F.coalesce(F.struct("_mix_hash", "_mix_id") <= F.col("last"), F.lit(False)))
-    once = F.when(F.col("rest") > 0, once).otherwise(F.lit(False))
+    def taken_once(at: str):
+        """Whether a row lies before its source's cut; the plan's columns begin with ``at``."""
+        last = F.coalesce(F.struct("_mix_hash", "_mix_id") <= F.col(f"{at}last"), F.lit(False))
+        before = (F.col("_mix_bucket") < F.coalesce(f"{at}edge", F.lit(65536))) | ((F.col("_mix_bucket") == F.col(f"{at}edge")) & last)
+        return F.when(F.col(f"{at}rest") > 0, before).otherwise(F.lit(False))
+
     misses = F.abs(F.col("_mix_size") - F.col("gap"))
-    open_ = sized.join(plan, same(sized, plan)).drop(plan["_mix_source"]).filter(~once & (F.col("_mix_size") > 0) & (misses < F.col("gap")))
+    open_ = sized.join(plan, same(sized, plan)).drop(plan["_mix_source"]).filter(~taken_once("") & (F.col("_mix_size") > 0) & (misses < F.col("gap")))
     finish = open_.groupBy("_mix_source").agg(F.min(F.struct(misses.alias("misses"), "_mix_hash", "_mix_id")).alias("finish"))
     plan = scratch.save(plan.join(finish, same(plan, finish), "left").drop(finish["_mix_source"]), "plan").select(F.col("_mix_source").alias("_of"), "source_size", "target", "whole", "rest", "edge", "last", F.col("finish._mix_hash").alias("fh"), F.col("finish._mix_id").alias("fi"), F.col("finish").isNotNull().alias("finishes"))
 
-    bare = keyed.drop("size", "source_size", "target", "times", "taken", *(c for c in plan.columns if c in docs.columns and c not in (id_col, text_col, source_col)))
-    out = bare.join(plan, F.col("_mix_source").eqNullSafe(F.col("_of")))
-    last_one = F.col("finishes") & (F.col("_mix_hash") == F.col("fh")) & F.col("_mix_id").eqNullSafe(F.col("fi"))
-    times = F.col("whole") + (once | last_one).cast("long")
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "times", "taken")]
-    missing = [F.col(c) for c in kept if c in bare.columns]
-    return out.select(*missing, F.col("_mix_size").alias("size"), "source_size", "target", times.alias("times"), (F.col("_mix_size") * times).alias("taken"))
+    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
+    out = keyed.join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix__of")))
+    last_one = F.col("_mix_finishes") & (F.col("_mix_hash") == F.col("_mix_fh")) & F.col("_mix_id").eqNullSafe(F.col("_mix_fi"))
+    times = F.col("_mix_whole") + (taken_once("_mix_") | last_one).cast("long")
+    made = {"size": F.col("_mix_size"), "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "times": times, "taken": F.col("_mix_size") * times}
+    made = {prefix + n: c for n, c in made.items()}
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), *(c.alias(n) for n, c in made.items()))

@@ -65,14 +65,17 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float =
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000) -> Ranker:
+    """A ranker from the labelled documents; ids and labels that are null, or ids that repeat, as in ``fit_rules``."""
     return fit_ranker(*labelled_features(docs, labels, id_col, text_col, label_col, most))
 
 
-def apply_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5) of each whole text.
+def apply_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 from 0.5) of each whole text, each name after ``prefix``.
 
     A null text is scored as an empty one. Rows are judged alone, so repeated
-    rows get equal values; an empty table stays empty.
+    rows get equal values; an empty table stays empty. Columns of ``docs`` with
+    one of these names give way: choose a prefix to keep them. A very long text
+    is described by one task, which holds its words.
     """
 
     def make():
@@ -84,4 +87,4 @@ def apply_quality(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> Da
 
         return of
 
-    return with_text_columns(docs, text_col, [("score", "double"), ("predicted", "int")], make)
+    return with_text_columns(docs, text_col, [(f"{prefix}score", "double"), (f"{prefix}predicted", "int")], make)

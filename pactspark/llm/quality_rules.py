@@ -110,6 +110,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     picked = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id")  # at most ``most`` rows
+    texts = texts.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))  # an id may repeat
 
     def make():
         cache = WordHashes()
@@ -120,7 +121,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, clean_loss: float = 0.003) -> Forest:
-    """Trees for ``label_col`` (1: good); the cut rejects at most ``clean_loss`` of the good sample and nothing of 0.5 or more."""
+    """Trees for ``label_col`` (1: good); the cut rejects at most ``clean_loss`` of the good sample and nothing of 0.5 or more.
+
+    Null labels and ids teach nothing; an id with several labels counts as good if
+    one is, with several texts by the least of them. Without labels of both kinds
+    all is kept that the base rules keep.
+    """
     x, y = labelled_features(docs, labels, id_col, text_col, label_col, most)
     forest = fit_forest(x, y, np.array([MONOTONE.get(n, 0) for n in NAMES]))
     if (y == 1).any():
@@ -131,11 +137,13 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 FIELDS = [*((n, "long") for n in BASE), ("base_failed", "boolean"), ("kept", "boolean"), ("rule_score", "double")]
 
 
-def apply_rules(docs: DataFrame, forest: Forest, text_col: str = "text", least_words: int = 50, repeat_per_cent: int = 50) -> DataFrame:
-    """``docs`` with the BASE counts, base_failed, kept and rule_score of each whole text.
+def apply_rules(docs: DataFrame, forest: Forest, text_col: str = "text", least_words: int = 50, repeat_per_cent: int = 50, prefix: str = "") -> DataFrame:
+    """``docs`` with the BASE counts, base_failed, kept and rule_score of each whole text, each name after ``prefix``.
 
     A null or empty text has no words and fails the base rules. Rows are judged
-    alone, so repeated rows get equal values; an empty table stays empty.
+    alone, so repeated rows get equal values; an empty table stays empty. Columns
+    of ``docs`` with one of these names give way: choose a prefix to keep them. A
+    very long text is described by one task, which holds its words.
     """
 
     def make():
@@ -150,4 +158,4 @@ def apply_rules(docs: DataFrame, forest: Forest, text_col: str = "text", least_w
 
         return of
 
-    return with_text_columns(docs, text_col, FIELDS, make)
+    return with_text_columns(docs, text_col, [(prefix + n, kind) for n, kind in FIELDS], make)

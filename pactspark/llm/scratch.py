@@ -9,14 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pactspark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Folders of the tables that this process wrote.
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that ``save`` wrote; answers that still read them must be done with."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/pactspark-{uuid.uuid4().hex}/{name}"
 
@@ -25,5 +38,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written.append(path.rsplit("/", 1)[0])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,11 +64,14 @@ def shard_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     size is the text's UTF-8 bytes (null: none) plus 16, the crc of a null text
     is that of an empty one, slots count from 0 in each shard without gaps.
     Null ids sort first; repeated rows get slots of their own. An empty table
-    gives no rows. Shards differ by at most about their two border records.
+    gives no rows. Shards differ by at most about their two border records; equal
+    texts lie side by side, and a group of them that stands on a border is cut
+    there, since this law evens out bytes. Other columns, whatever their names,
+    are not read; of a very long text only numbers travel.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
-    rows = scratch.save(rows.withColumn("own", F.coalesce("doc_id", F.lit(_LOW))), "keys")
+    rows = scratch.save(rows.withColumn("own", F.coalesce("doc_id", F.lit(_LOW) + F.monotonically_increasing_id())), "keys")
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(most_ranges, max(shards * ranges_per_shard, -(-count // rows_per_range)))
     cell = max(1.0, total / ranges)
@@ -80,12 +83,14 @@ def shard_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
         return [tuple(r) for r in of.filter(chance < F.col("size") / step).select("key", "own", F.greatest(F.col("size").cast("double"), F.lit(step))).collect()]
 
     splits = _quantiles(sample(rows, cell / keys_per_range, 0), cell)
-    for again in (1, 2):
+    for again in range(1, 17):
         parts = rows.mapInArrow(_ranged(np.array(splits, np.int64).reshape(-1, 2)), ranged_schema)
         full = parts.groupBy("part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter((F.col("b") > 2 * cell) & (F.col("n") > 1)).select("part")
         if len(splits) >= 2 * most_ranges or full.isEmpty():
             break
         more = _quantiles(sample(parts.join(F.broadcast(full), "part"), cell / keys_per_range, again), cell / 2)
+        if set(more) <= set(splits):
+            break  # what is left is one key a range
         splits = sorted({*splits, *more})
     parts = rows.mapInArrow(_ranged(np.array(splits, np.int64).reshape(-1, 2)), ranged_schema)
 

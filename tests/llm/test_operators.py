@@ -63,6 +63,29 @@ def roots_of(known, per_cent=80):
     return {i: find(i) for i in root}
 
 
+def test_many_near_copies_of_one_template_match_brute_force(spark):
+    rng = random.Random(11)
+    template, out = [f"t{i}" for i in range(400)], []
+    for i in range(350):  # copies with 7 words replaced, each with a child of 9 more
+        one = list(template)
+        for at in rng.sample(range(400), 7):
+            one[at] = f"a{rng.randrange(10**9)}"
+        two = list(one)
+        for at in rng.sample(range(400), 9):
+            two[at] = f"b{rng.randrange(10**9)}"
+        out += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    rng.shuffle(out)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(out, "doc_id long, text string"), k=4).collect()}
+    assert got == roots_of([(i, shingles(t)) for i, t in out])
+
+
+def test_an_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (3, b)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (8, 3)]
+
+
 @pytest.mark.parametrize("block", [4096, 50])
 def test_twins_in_a_templated_family_match_brute_force(spark, block):
     rng = random.Random(5)
@@ -116,8 +139,8 @@ def test_warc_round_trip(spark):
 @pytest.mark.parametrize("size", [1, 64, 181, 184, 4000, 300_000])
 def test_transport_stream_round_trip(size):
     data = random.Random(size).randbytes(size)
-    payload, stamps, keys = transport_stream.demux(transport_stream.mux(data))
-    assert payload == data and keys[0] and stamps == sorted(stamps)
+    payload, points = transport_stream.demux(transport_stream.mux(data))
+    assert payload == data and points[0][2] and [p[1] for p in points] == sorted(p[1] for p in points)
 
 
 def test_a_lost_packet_is_noticed():
@@ -126,6 +149,31 @@ def test_a_lost_packet_is_noticed():
         transport_stream.demux(stream[: 188 * 5] + stream[188 * 6 :])
 
 
+def packet(pid, counter, body, start=False, only_adaptation=False):
+    head = bytes([0x47]) + ((0x4000 if start else 0) | pid).to_bytes(2, "big")
+    if only_adaptation:
+        return head + bytes([0x20 | counter, 183, 0]) + b"\xff" * 182
+    if len(body) == 184:
+        return head + bytes([0x10 | counter]) + body
+    pad = 183 - len(body)
+    return head + bytes([0x30 | counter, pad]) + (b"\x00" + b"\xff" * (pad - 1) if pad else b"") + body
+
+
+def test_streams_of_other_writers_are_read():
+    """A network entry, programme information, a section over two packets, a packet sent twice, one without payload, two streams."""
+    section, stamp = transport_stream._section, transport_stream._stamp
+    pat = b"\x00" + section(0, 1, b"\x00\x00\xe0\x10" + b"\x00\x01\xf0\x00")
+    info = bytes([0x0E, 180]) + bytes(180)
+    entry = lambda pid: b"\x06" + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x02\x0a\x00"
+    pmt = b"\x00" + section(2, 1, b"\xe1\x00" + (0xF000 | len(info)).to_bytes(2, "big") + info + entry(0x100) + entry(0x101))
+    unit = lambda pts, data: b"\x00\x00\x01\xbd" + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(pts) + data
+    one = packet(0x100, 3, unit(90, b"first"), start=True)
+    stream = packet(0, 0, pat, True) + packet(0x1000, 0, pmt[:184], True) + packet(0x1000, 1, pmt[184:]) + one + one
+    stream += packet(0x100, 3, b"", only_adaptation=True) + packet(0x1FFF, 9, bytes(184)) + packet(0x101, 0, unit(5, b"other"), True) + packet(0x100, 4, unit(180, b"second"), True)
+    got = transport_stream.read_stream(stream)
+    assert {p: [(t, d) for _, t, _, d in units] for p, units in got.items()} == {0x100: [(90, b"first"), (180, b"second")], 0x101: [(5, b"other")]}
+
+
 def test_forest_keeps_its_monotone_direction():
     import numpy as np
 
