@@ -140,6 +140,16 @@ def _neighbours(least: int, reach: int):
     return run
 
 
+def _agreeing(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same >= least))
+
+    return run
+
+
 def _sets(k: int, of: Callable[[np.ndarray], np.ndarray], name: str):
     """(rep, ``of`` its set as bytes) from (rep, text, set_key)."""
 
@@ -175,6 +185,11 @@ def _linked(per_cent: int):
     return run
 
 
+def _first_tree(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The first tree in which each signature shares a region with ``one``: there, and nowhere else, the pair is given."""
+    return (sig == one).reshape(-1, TREES, STEP).all(axis=2).argmax(axis=1)
+
+
 def _across(least: int, least_wide: int):
     """In runs of one region (at most the region bound), the pairs of different components whose signatures agree, the wide ones too."""
 
@@ -190,6 +205,7 @@ def _across(least: int, least_wide: int):
             for i in range(1, len(rows)):
                 hit = np.flatnonzero((comp[:i] != comp[i]) & ((sig[:i] == sig[i]).sum(axis=1) >= least))
                 hit = hit[(wide[hit] == wide[i]).sum(axis=1) >= least_wide]
+                hit = hit[_first_tree(sig[hit], sig[i]) == rows[0][5]]
                 a.extend(np.minimum(reps[hit], reps[i]).tolist())
                 b.extend(np.maximum(reps[hit], reps[i]).tolist())
             return a, b
@@ -233,6 +249,7 @@ def _between(least: int, least_wide: int, per_cent: int):
             hit = hit[comp[hit] != comp[i]]
             hit = hit[(sig[hit] == sig[i]).sum(axis=1) >= least]
             hit = hit[(wide[hit] == wide[i]).sum(axis=1) >= least_wide]
+            hit = hit[_first_tree(sig[hit], sig[i]) == rows[0][10]]
             a.extend(np.minimum(reps[hit], reps[i]).tolist())
             b.extend(np.maximum(reps[hit], reps[i]).tolist())
         return a, b
@@ -323,14 +340,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = scratch.save(ordered.mapInArrow(_neighbours(least, reach), "a long, b long").distinct(), "pairs")
     links = confirmed(tried)
     found = components(links)
-    label = lambda c: found.select(F.col("v").alias(c), F.col("component").alias(f"{c}_of"))
+
+    def split_regions() -> DataFrame:
+        """Members, with their components, of the regions that hold several."""
+        label = lambda c: found.select(F.col("v").alias(c), F.col("component").alias(f"{c}_of"))
+        rows = members.join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left")
+        rows = rows.select("key", "tree", "rep", "n", "pivot", F.coalesce("rep_of", "rep").alias("component"), F.coalesce("pivot_of", "pivot").alias("main"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+        return scratch.save(rows.join(mixed, "key", "left_semi"), "labelled")
+
+    # What is not yet with its region's first member meets that one before it meets all.
+    apart = split_regions().filter("component != main").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    apart = apart.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("p")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("q")), "b").select("a", "b", "p", "q")
+    apart = scratch.save(apart.mapInArrow(_agreeing(least), "a long, b long").join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not apart.isEmpty():
+        links, tried = links.union(confirmed(apart)), tried.union(apart)
+        found = components(links)
 
     # Regions bound recall: at 80 % about 3 linked pairs in a million share none. So every pair of different components
     # in one region is compared, in small regions at once, in hot ones by blocks.
-    labelled = members.join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left").select("key", "rep", "n", F.coalesce("rep_of", "rep").alias("component"), F.coalesce("pivot_of", "pivot").alias("main"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    labelled = scratch.save(labelled.join(mixed, "key", "left_semi"), "labelled")
-    runs = labelled.filter(F.col("n") <= region).select("key", "rep", "component")
+    labelled = split_regions()
+    runs = labelled.filter(F.col("n") <= region).select("key", "tree", "rep", "component")
 
     # The sets linked with a hot region's first member meet all others there, and the others each other.
     hot = labelled.filter(F.col("n") > region).withColumn("waits", F.col("component") != F.col("main"))
@@ -342,17 +372,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     among = F.transform(upto("waiting"), lambda j: unit(0, F.least(own, j), F.greatest(own, j), (own > j).cast("int")))
     asked = F.transform(upto("linked"), lambda j: unit(1, own, j, F.lit(0)))
     given = F.transform(upto("waiting"), lambda j: unit(1, j, own, F.lit(1)))
-    dealt = dealt.select("key", "rep", "component", F.explode(F.when(~F.col("waits"), given).otherwise(F.concat(among, asked))).alias("unit")).select("key", "unit.*", "rep", "component")
+    dealt = dealt.select("key", "tree", "rep", "component", F.explode(F.when(~F.col("waits"), given).otherwise(F.concat(among, asked))).alias("unit")).select("key", "tree", "unit.*", "rep", "component")
     dealt = scratch.save(dealt, "dealt")
 
     # Members of one region are alike without linking: the wide signature keeps most such pairs from the full check.
     wide = from_sets(runs.select("rep").union(dealt.select("rep")), wide_signature, "wide")
     signed = sigs.join(wide, "rep")
-    across = runs.join(signed, "rep").select("key", "rep", "component", "sig", "wide").repartition("key").sortWithinPartitions("key", "rep")
+    across = runs.join(signed, "rep").select("key", "rep", "component", "sig", "wide", "tree").repartition("key").sortWithinPartitions("key", "rep")
     across = across.mapInArrow(_across(least, least_wide), "a long, b long")
     sized = signed.join(classes.select("rep", "n_shingles"), "rep")
     run_of = ["key", "kind", "lo", "hi"]
-    rest = dealt.join(sized, "rep").select(*run_of, "side", "rep", "n_shingles", "component", "sig", "wide").repartition(*run_of).sortWithinPartitions(*run_of, "side", "rep")
+    rest = dealt.join(sized, "rep").select(*run_of, "side", "rep", "n_shingles", "component", "sig", "wide", "tree").repartition(*run_of).sortWithinPartitions(*run_of, "side", "rep")
     rest = rest.mapInArrow(_between(least, least_wide, per_cent), "a long, b long")
 
     more = scratch.save(across.union(rest).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
