@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import operator
 import re
 from collections.abc import Callable, Mapping
@@ -134,6 +135,14 @@ def columns(node: Any) -> set[str]:
     return set().union(*(columns(n) for n in node)) if isinstance(node, list) else set()
 
 
+def dataset_columns(node: Any, field: str) -> set[str]:
+    """The columns whose statistic ``field`` a rule reads."""
+    if isinstance(node, tuple):
+        own = {node[1][2]} if node[0] == "get" and node[2] == field and node[1][:2] == ("get", ("name", "dataset")) else set()
+        return own.union(*(dataset_columns(n, field) for n in node[1:]))
+    return set().union(*(dataset_columns(n, field) for n in node)) if isinstance(node, list) else set()
+
+
 def duration(text: str) -> dt.timedelta:
     parts = re.findall(r"(\d+(?:\.\d+)?)(ms|s|m|h|d)", text)
     if not parts or "".join(a + b for a, b in parts) != text:
@@ -151,7 +160,7 @@ FUNCTIONS: dict[str, tuple[Callable, Callable]] = {
     "partial": (lambda s, n: "***" if len(s) <= max(n, 4) else "***" + s[-n:], lambda c, n: _masked(c, n)),
     "redact": (lambda s: "***", lambda c: F.when(c.isNotNull(), F.lit("***"))),
     "is_msisdn": (lambda s: bool(re.search(r"^254[17][0-9]{8}$", s)), lambda c: c.rlike(r"^254[17][0-9]{8}$")),
-    "string": (str, lambda c: c.cast("string")),
+    "string": (lambda v: str(v).lower() if isinstance(v, bool) else str(v), lambda c: c.cast("string")),
     "int": (int, lambda c: c.cast("bigint")),
     "double": (float, lambda c: c.cast("double")),
     "size": (len, lambda c: F.length(c)),
@@ -161,7 +170,7 @@ FUNCTIONS: dict[str, tuple[Callable, Callable]] = {
     "contains": (lambda s, p: p in s, lambda c, p: c.contains(p)),
     "duration": (duration, None),
 }
-_OPS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod}
+_OPS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": lambda a, b: math.fmod(a, b) if isinstance(a, float) or isinstance(b, float) else int(math.fmod(a, b))}
 
 
 def as_column(value: Any) -> Column:
@@ -171,7 +180,8 @@ def as_column(value: Any) -> Column:
 class Builder:
     """Builds parsed rules for one caller; ``row`` names the columns that exist."""
 
-    def __init__(self, ctx: Mapping | None = None, row: set[str] | None = None, dataset: Mapping | None = None, functions: Mapping[str, tuple] | None = None):
+    def __init__(self, ctx: Mapping | None = None, row: set[str] | None = None, dataset: Mapping | None = None, functions: Mapping[str, tuple] | None = None, lists: set[str] | None = None):
+        self.lists = lists or set()
         self.spaces = {"ctx": ctx, "dataset": dataset}
         self.row, self.functions, self.bound = row, {**FUNCTIONS, **(functions or {})}, {}
 
@@ -211,6 +221,8 @@ class Builder:
         held = self.build(base)
         if isinstance(held, Column):
             return held.getField(field)
+        if held is None:
+            return None
         if not isinstance(held, Mapping):
             raise RuleError(f"{field!r} of a plain value")
         return held.get(field)
@@ -242,7 +254,7 @@ class Builder:
             return (known is None) == (op == "==")
         if not rows:
             return None if a is None or b is None else _OPS[op](a, b)
-        return _OPS[op](as_column(a), as_column(b))
+        return as_column(a) % as_column(b) if op == "%" else _OPS[op](as_column(a), as_column(b))
 
     def _if(self, test: tuple, yes: tuple, no: tuple) -> Any:
         held = self.build(test)
@@ -270,6 +282,8 @@ class Builder:
         values = [self.build(a) for a in args]
         on_driver, on_rows = self.functions[name]
         if isinstance(values[0], Column):
+            if name == "size" and isinstance(args[0], tuple) and args[0][:2] == ("get", ("name", "row")) and args[0][2] in self.lists:
+                return F.size(values[0])
             if on_rows is None:
                 raise RuleError(f"{name} takes a constant")
             return on_rows(*values)

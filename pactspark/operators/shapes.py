@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,7 @@ def laplace(scale: float, seed: int | None = None) -> Column:
     return -scale * F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(1e-300)))
 
 
-def grouped(view: DataFrame, by: list[str], values: dict[str, Column], k: int = 1) -> DataFrame:
-    """Aggregates of groups of at least ``k`` rows; one shuffle, partial sums before it."""
-    out = view.groupBy(*by).agg(*(c.alias(n) for n, c in values.items()), F.count(F.lit(1)).alias("_rows"))
-    return out.filter(F.col("_rows") >= k).drop("_rows")
-
-
 def withheld(answer: DataFrame, k: int) -> DataFrame:
-    """All of ``answer``, or nothing of it if it has less than ``k`` rows."""
+    """All of ``answer``, or nothing of it if it has less than ``k`` rows; held, so that what is counted is what is released."""
+    answer = answer.persist(StorageLevel.DISK_ONLY)
     return answer if answer.limit(k).count() >= k else answer.limit(0)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import math
+import re
+import struct
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +14,32 @@ from pyspark.sql import functions as F
 METRICS = ("cosine", "euclidean", "dot")
 
 
+_SEARCH = re.compile(r"""'(?:[^'\\]|\\.)*'|--[^\n]*|\bvector_search\s*\(\s*(?P<table>"[^"]+"|`[^`]+`|[\w]+)\s*,\s*(?P<column>\w+)\s*,\s*\[(?P<query>[^\]]*)\]\s*,\s*(?P<k>[+-]?\d+)\s*,\s*'(?P<metric>\w+)'\s*\)""", re.I)
+
+
+def lift_searches(sql: str, found: dict[str, tuple]) -> str:
+    """Puts a table name for each ``vector_search(table, column, [..], k, 'metric')`` and notes its parts in ``found``."""
+
+    def lifted(m: re.Match) -> str:
+        if not m["table"]:
+            return m[0]
+        name = f"_search_{len(found)}"
+        found[name] = (m["table"].strip('"`'), m["column"], list(ast.literal_eval(f"[{m['query']}]")), int(m["k"]), m["metric"].lower())
+        return name
+
+    return _SEARCH.sub(lifted, sql)
+
+
 def distance(vector: Column, query: Sequence[float], metric: str) -> Column:
     """float64 distance; null for a null vector, null or non-finite parts, another dimension, or a zero norm under cosine."""
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
     if not query or not all(math.isfinite(q) for q in query):
         raise ValueError("the query vector must be non-empty and finite")
+    try:
+        query = [struct.unpack("f", struct.pack("f", x))[0] for x in query]  # the stored vectors' precision
+    except OverflowError as e:
+        raise ValueError("the query vector must fit 32-bit floats") from e
     if metric == "cosine" and not any(query):
         raise ValueError("cosine needs a query vector with a norm")
     v = vector.cast("array<double>")

@@ -56,6 +56,8 @@ class Contract:
     rules: tuple[Rule, ...]
     enrich: Mapping
     owner: str | None
+    schema: Mapping
+    pins: Mapping
     hash: str
 
     @classmethod
@@ -86,11 +88,17 @@ class Contract:
                 raise ContractError(f"{r.id}: transforms a column that is not exposed")
         binding = doc.get("binding") or {}
         digest = hashlib.sha256(json.dumps(doc, sort_keys=True, default=str).encode()).hexdigest()
-        return cls(doc["contract"], int(doc.get("version", 1)), binding.get("parquet"), tuple(binding.get("partitioned_by", ())), exposed, made, doc.get("enrich", {}), doc.get("owner"), digest)
+        return cls(doc["contract"], int(doc.get("version", 1)), binding.get("parquet"), tuple(binding.get("partitioned_by", ())), exposed, made, doc.get("enrich", {}), doc.get("owner"), doc.get("schema", {}), doc.get("functions", {}), digest)
 
     def of_op(self, op: str) -> list[Rule]:
         return [r for r in self.rules if r.op == op]
 
+    @property
+    def view_hash(self) -> str:
+        """A digest of what a view does with rows, whatever the data and the document's other parts."""
+        rules_ = [(r.id, r.op, repr(r.node), r.on_fail, r.column, r.operator, sorted(r.params.items()), repr(r.unless)) for r in self.rules]
+        return hashlib.sha256(json.dumps([self.exposed, rules_, sorted(self.enrich.items()), sorted(self.pins.items())], default=str).encode()).hexdigest()
+
     @property
     def table(self) -> str:
         return self.name.replace("/", "_")
