@@ -72,9 +72,9 @@ def shard_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
     rows = scratch.save(rows.withColumn("own", F.coalesce("doc_id", F.lit(_LOW) + F.monotonically_increasing_id())), "keys")
-    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    count, total, largest = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     ranges = min(most_ranges, max(shards * ranges_per_shard, -(-count // rows_per_range)))
-    cell = max(1.0, total / ranges)
+    cell = max(1.0, total / ranges, largest)  # no range is cut finer than a record
     ranged_schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
 
     def sample(of: DataFrame, step: float, salt: int) -> list:
