@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pactspark.llm import pairwise_rank, quality_rules, scratch
 from pactspark.llm.mixing import mix_sources
 from pactspark.llm.near_dedup import near_duplicates
-from pactspark.llm.packing import pack
+from pactspark.llm.packing import pack, pieces
 from pactspark.llm.queries import VOCABULARY
 
 
@@ -59,8 +59,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece."""
-    return pack(docs, *VOCABULARY)
+    """Token sequences: a row per piece, with its ids, its sequence and its place there."""
+    return pieces(pack(docs, *VOCABULARY))
 
 
 STAGES = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pactspark.llm import attention_lm, language, pairwise_rank, quality_rules, transport_stream, warc
 from pactspark.llm.mixing import mix_sources
 from pactspark.llm.near_dedup import near_duplicates
-from pactspark.llm.packing import pack
+from pactspark.llm.packing import pack, pieces
 from pactspark.llm.sharding import shard_bytes
 
 #: The vocabulary in both formats and its pattern; the files are installed on every node.
@@ -48,7 +48,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), *VOCABULARY)
+    return pieces(pack(_table(spark, sf_dir, "documents"), *VOCABULARY)).drop("ids")
 
 
 def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

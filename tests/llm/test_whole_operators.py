@@ -107,7 +107,8 @@ def test_packed_pieces_hold_each_id_once(table):
     slow = Tokenizer.from_file(VOCABULARY[0])
     ids = Counter((r[0], tuple([*slow.encode(r[1] or "", add_special_tokens=False).ids, 1])) for r in rows)
     whole = {own: each for own, each in ids}
-    got = packing.pack(docs.repartition(3), *VOCABULARY, width=512, open_windows=8).collect()
+    sequences = packing.pack(docs.repartition(3), *VOCABULARY, width=512, open_windows=8, pad_id=3)
+    got = packing.pieces(sequences).collect()
     seen, filled = Counter(), defaultdict(list)
     for r in got:
         part = whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]
@@ -115,6 +116,7 @@ def test_packed_pieces_hold_each_id_once(table):
         assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))
         seen[r["doc_id"]] += r["length"]
         filled[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert bytes(r["ids"]) == b"".join(i.to_bytes(4, "little") for i in part)
     assert seen == Counter({own: sum(len(e) * n for (o, e), n in ids.items() if o == own) for own in whole})
     for pieces in filled.values():
         at = 0
@@ -123,6 +125,13 @@ def test_packed_pieces_hold_each_id_once(table):
             at += length
         assert at <= 512
     assert sum(seen.values()) >= 0.9 * 512 * len(filled)
+    whole_windows = sequences.collect()
+    assert sorted(r["sequence_id"] for r in whole_windows) == sorted(filled)
+    for r in whole_windows:
+        held, tokens = bytes(r["ids"]), r["tokens"]
+        assert tokens == sum(p["length"] for p in r["pieces"])
+        assert len(held) == 4 * (tokens if tokens & (tokens - 1) == 0 else 512)
+        assert held[4 * tokens :] == (3).to_bytes(4, "little") * (len(held) // 4 - tokens)
 
 
 def test_media_as_a_plain_version(table):
