@@ -15,8 +15,9 @@ from pyspark.sql import SparkSession
 from pactspark.plans.contract import ContractError
 from pactspark.plans.engine import BudgetExceeded, Denied, Engine, GuaranteeFailed, NotFound, Violated
 from pactspark.plans.guard import Refused
+from pactspark.sources import formats
 
-FORMATS = ("table", "json", "csv")
+FORMATS = ("table", "json", "csv", *formats.FORMATS)
 REFUSALS = (Refused, Denied, NotFound, Violated, GuaranteeFailed, BudgetExceeded)
 
 
@@ -35,6 +36,7 @@ def _arguments() -> argparse.ArgumentParser:
     query = verbs.add_parser("query")
     query.add_argument("sql")
     query.add_argument("--format", default="table", choices=FORMATS)
+    query.add_argument("--out", help="the file that takes the answer; needed for arrow and parquet")
     query.add_argument("--envelope", action="store_true")
     verbs.add_parser("check").add_argument("sql")
     verbs.add_parser("describe").add_argument("name")
@@ -60,9 +62,15 @@ def run(spark: SparkSession, argv: list[str]) -> object:
     if at.verb == "validate":
         return engine.validate(at.name)
     if at.verb == "query":
+        if at.format in ("arrow", "parquet") and not at.out:
+            raise ValueError(f"{at.format} needs --out")
         table, envelope = engine.query_with_envelope(at.sql, caller)
-        body = {"table": lambda: table.to_pandas().to_string(index=False), "csv": lambda: table.to_pandas().to_csv(index=False), "json": lambda: json.dumps(table.to_pylist(), default=str)}[at.format]()
-        return body + ("\n" + json.dumps(envelope) if at.envelope else "")
+        texts = {"table": lambda: table.to_pandas().to_string(index=False), "csv": lambda: table.to_pandas().to_csv(index=False), "json": lambda: json.dumps(table.to_pylist(), default=str)}
+        body = texts[at.format]().encode() if at.format in texts else formats.as_bytes(table, at.format)
+        if at.out:
+            formats.write_file(at.out, body)
+            return json.dumps(envelope) if at.envelope else at.out
+        return body.decode() + ("\n" + json.dumps(envelope) if at.envelope else "")
     if at.verb == "check":
         return engine.check(at.sql, caller)
     if at.verb == "describe":

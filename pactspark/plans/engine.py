@@ -24,6 +24,7 @@ from pactspark.plans import guard
 from pactspark.plans.contract import Contract, ContractError, Rule
 from pactspark.plans.guard import GATE, Refused, inspect
 from pactspark.plans.rewrite import Rewriter
+from pactspark.plans.signer import SocketSigner
 from pactspark.sources.store import ENGINE, Store
 
 
@@ -102,8 +103,8 @@ class Cache:
 class Engine:
     """Contracts over one Spark session. ``base`` is the folder that relative bindings start from."""
 
-    def __init__(self, spark: SparkSession, base: str, now: dt.datetime | None = None, audit: str | None = None, store: Store | None = None):
-        self.spark, self.base, self.now, self.audit_path = spark, base.rstrip("/"), now, audit
+    def __init__(self, spark: SparkSession, base: str, now: dt.datetime | None = None, audit: str | None = None, store: Store | None = None, signer: SocketSigner | None = None):
+        self.spark, self.base, self.now, self.audit_path, self.signer = spark, base.rstrip("/"), now, audit, signer
         self.store = store or Store()
         self.documents: dict[str, Mapping] = {}
         self.contracts: dict[str, Contract] = {}
@@ -375,13 +376,16 @@ class Engine:
         return self._prepared(sql, caller, "exclude")[1]()[0]._jdf.queryExecution().toString()
 
     def query_with_envelope(self, sql: str, caller: Mapping, on_violation: str = "exclude") -> tuple[pa.Table, dict]:
-        """The answer as an Arrow table and what it rests on: digests, contracts, notes, released rows. Repeats come from the cache."""
+        """The answer as an Arrow table and what it rests on: digests, contracts, notes, released rows. Repeats come from the cache.
+
+        Where the engine has a signer, ``signature`` is its signature of all the rest; without one, no answer.
+        """
         found, _, about = self._prepared(sql, caller, on_violation)
         noisy = any(r.operator == "noise" for c in found for r in self._shapes(c, caller))
         versions = [(c.name, c.version, c.hash, json.dumps(self.facts.get(c.name), default=str, sort_keys=True)) for c in found]
         key = hashlib.sha256(json.dumps([sql, on_violation, sorted(caller.items()), versions, str(self.now)], default=str).encode()).hexdigest()
         if not noisy and (held := self.cache.get(key)):
-            return held
+            return self._signed(*held)
         answer = self.query(sql, caller, on_violation)
         table = answer.toArrow().combine_chunks()
         observed = answer._jdf.queryExecution().observedMetrics()
@@ -393,7 +397,10 @@ class Engine:
         envelope = {"sql_sha256": hashlib.sha256(sql.encode()).hexdigest(), "answer_sha256": hashlib.sha256(sink.getvalue()).hexdigest(), "rows": table.num_rows, "caller": caller.get("id"), "contracts": contracts, "noise": noisy}
         if not noisy:
             self.cache.put(key, (table, envelope))
-        return table, envelope
+        return self._signed(table, envelope)
+
+    def _signed(self, table: pa.Table, envelope: dict) -> tuple[pa.Table, dict]:
+        return table, envelope | {"signature": self.signer.sign(envelope)} if self.signer else envelope
 
     def aggregate(self, name: str, caller: Mapping, by: Sequence[str], values: Mapping[str, tuple[str, str]]) -> DataFrame:
         """Aggregates {alias: (count|sum|avg|min|max, column)} under the contract's suppression and noise, as ``query`` gives them."""
