@@ -1,8 +1,11 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
+from pactspark.llm import scratch
+
 SCHEMA = "doc_id long, text string"
 
 
@@ -42,3 +45,20 @@ def test_near_dedup_judges_rows_with_repeated_and_null_ids(spark):
     rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, ""), (3, ""), (None, "")]
     kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (None, c), (3, ""), (None, "")], key=str)
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "quality_classifier", "near_dedup"])
+def test_stages_hand_python_small_batches(spark, folder, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        long = spark.range(5000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 1000) as text")
+        got = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+        assert len(got) > 3 and max(got) < 2 * scratch.BATCH
+    finally:
+        spark.conf.unset(key)
