@@ -3,7 +3,8 @@
 A good document is preferred to a bad one. The score is linear in features of
 the whole text: its statistics, standardised and cut into hinges at their
 quantiles. Weights minimise the logistic loss of score differences over seeded
-pairs by Newton steps. The threshold is the quantile of the sample's scores at
+pairs by Newton steps, which take the pairs in blocks: the fit runs on the driver,
+and its memory does not grow with the number of pairs. The threshold is the quantile of the sample's scores at
 the share of bad documents; the reported score is the logistic function of the
 distance to it, so 0.5 is the threshold. The fit sees a bounded sample
 (``most`` documents, ``pairs`` pairs); every document is scored whole.
@@ -42,7 +43,7 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.threshold, -500, 500)))
 
 
-def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1.0, steps: int = 12, seed: int = 11) -> Ranker:
+def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float = 1.0, steps: int = 12, seed: int = 11, block: int = 2048) -> Ranker:
     """Weights from pairs (label 1 over label 0); without pairs every score is 0.5."""
     width = x.shape[1]
     if not len(y):
@@ -53,14 +54,19 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge: float =
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if len(good) and len(bad):
         rng = np.random.default_rng(seed)
-        phi = ranker.expand(x)
-        d = phi[rng.choice(good, pairs)] - phi[rng.choice(bad, pairs)]
+        phi = np.empty((len(y), len(ranker.weights)))
+        for at in range(0, len(y), block):
+            phi[at : at + block] = ranker.expand(x[at : at + block])
+        over, under = rng.choice(good, pairs), rng.choice(bad, pairs)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(np.clip(d @ ranker.weights, -50, 50)))
-            gradient = d.T @ p - ridge * ranker.weights
-            hessian = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(d.shape[1])
+            gradient, hessian = -ridge * ranker.weights, ridge * np.eye(phi.shape[1])
+            for at in range(0, pairs, block):
+                d = phi[over[at : at + block]] - phi[under[at : at + block]]
+                p = 1 / (1 + np.exp(np.clip(d @ ranker.weights, -50, 50)))
+                gradient += d.T @ p
+                hessian += (d * (p * (1 - p))[:, None]).T @ d
             ranker.weights = ranker.weights + np.linalg.solve(hessian, gradient)
-        ranker.threshold = float(np.quantile(ranker.raw(x), len(bad) / len(y)))
+        ranker.threshold = float(np.quantile(phi @ ranker.weights, len(bad) / len(y)))
     return ranker
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +117,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
         cache = WordHashes()
         return lambda texts: [[describe(t, cache)[1] for t in texts]]
 
-    rows = with_text_columns(texts, "_text", [("_x", "array<double>")], make).select("_id", "_x", "_y").toPandas().sort_values("_id")
-    return np.array(rows["_x"].tolist(), float).reshape(-1, len(NAMES)), rows["_y"].to_numpy(int)
+    rows = with_text_columns(texts, "_text", [("_x", "array<double>")], make).select("_id", "_x", "_y").toArrow().sort_by("_id")
+    return pc.list_flatten(rows["_x"]).to_numpy().reshape(-1, len(NAMES)), rows["_y"].to_numpy().astype(int)
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, clean_loss: float = 0.003) -> Forest:

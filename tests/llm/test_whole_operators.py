@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -173,3 +175,23 @@ def test_every_stage_keeps_the_columns_and_rows_it_should(spark, table, tmp_path
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == {r[0] for r in before}
+
+
+def test_the_ranker_s_fit_is_small_on_the_driver():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((20_000, 18)), (rng.random(20_000) < 0.8).astype(int)
+    tracemalloc.start()
+    try:
+        pairwise_rank.fit_ranker(x, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6  # all pairs at once take 230 MB
+
+
+def test_the_ranker_is_the_same_in_blocks_of_any_size():
+    rng = np.random.default_rng(3)
+    x = rng.random((500, 6))
+    y = (x[:, 0] + 0.1 * rng.standard_normal(500) > 0.3).astype(int)
+    whole, cut = (pairwise_rank.fit_ranker(x, y, pairs=3000, block=n) for n in (3000, 7))
+    assert np.allclose(whole.weights, cut.weights, rtol=1e-8) and np.isclose(whole.threshold, cut.threshold)
