@@ -2,7 +2,8 @@
 
 Every stage reads what its predecessor wrote and, but for the last, returns the
 columns of ``documents``. Labels are read from the same folder. The session's
-Arrow batches are made small, so that executors keep their memory.
+Arrow batches, file splits and decoded batches are made small, so that executors
+keep their memory.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    scratch.small_batches(spark)
+    scratch.small_tasks(spark)
     forest = quality_rules.fit_rules(docs, _labels(spark, sf_dir))
     return quality_rules.apply_rules(docs, forest, prefix="_rules_").filter("_rules_kept").select(docs.columns)
 
@@ -33,7 +34,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
     It learns from the whole table of documents: the rules leave hardly any bad ones to pair.
     """
-    scratch.small_batches(spark)
+    scratch.small_tasks(spark)
     ranker = pairwise_rank.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), _labels(spark, sf_dir))
     if not ranker.weights.any():
         raise ValueError("no preference pairs: the labels need documents of both kinds")
@@ -46,7 +47,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are judged by a key of their own, so ids may repeat or be null. Rows
     without words stay, one for each id and every one without id.
     """
-    scratch.small_batches(spark)
+    scratch.small_tasks(spark)
     keyed = scratch.save(docs.withColumn("_near_row", F.monotonically_increasing_id()), "keyed")
     near = near_duplicates(keyed, id_col="_near_row", k=5, per_cent=80).withColumnRenamed("doc_id", "_near_row")
     worded = F.col("n_shingles") > 0
@@ -58,12 +59,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it does not take are gone."""
+    scratch.small_tasks(spark)
     mixed = mix_sources(docs, prefix="_mixed_").filter("_mixed_times > 0")
     return mixed.withColumn("_mixed_times", F.explode(F.sequence(F.lit(1), F.col("_mixed_times").cast("int")))).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row per piece, with its ids, its sequence and its place there."""
+    scratch.small_tasks(spark)
     return pieces(pack(docs, *VOCABULARY))
 
 

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pactspark.llm import scratch
@@ -62,3 +63,30 @@ def test_stages_hand_python_small_batches(spark, folder, stage):
         assert len(got) > 3 and max(got) < 2 * scratch.BATCH
     finally:
         spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_read_in_small_tasks(spark, folder, stage):
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for key in keys:
+        spark.conf.unset(key)
+    try:
+        docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'a' as source")
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+        assert [int(spark.conf.get(key)) for key in keys] == [scratch.SPLIT, scratch.ROWS, scratch.BATCH]
+        for key in keys:
+            spark.conf.set(key, "100")
+        scratch.small_tasks(spark)
+        assert [spark.conf.get(key) for key in keys] == ["100"] * 3
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+def test_saved_tables_have_small_row_groups(spark):
+    rows = spark.range(1200, numPartitions=1).selectExpr("id", "randstr(40000, 1) as noise")
+    saved = scratch.save(rows, "rows")
+    files = [pq.ParquetFile(name.removeprefix("file:").replace("///", "/")).metadata for name in saved.inputFiles()]
+    groups = [f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 2 * scratch.GROUP
+    assert saved.count() == 1200
